@@ -25,12 +25,18 @@ def _shingle_hashes(width: int) -> Column:
     return F.when(F.size(h) >= width, F.transform(at, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _signature(partition: Column, shingles: Column) -> Column:
-    """One-permutation MinHash with 2**partition bins: of the sorted hashes, the least of each run of equal leading bits."""
-    ordered = F.sort_array(shingles)
-    shift = (F.lit(64) - partition).cast("int")
-    leading = lambda x: F.call_function("shiftrightunsigned", x, shift)
-    return F.filter(ordered, lambda x, i: (i == 0) | (leading(x) != leading(F.get(ordered, i - 1))))
+def _signed(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, p, h): one-permutation MinHash with 2**p bins of the column ``s``.
+
+    Of the sorted hashes, the least of each run with equal p leading bits. The sorted array is a column of its own, so
+    that it is sorted once.
+    """
+    ordered = rows.select(*keys, "p", F.sort_array("s").alias("o"))
+    o, shift = F.col("o"), F.lit(64) - F.col("p")
+    bin_of = lambda x: F.call_function("shiftrightunsigned", x, shift)
+    least = F.filter(o, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(o, i - 1))))
+    # explode() would add a filter on the array's size, pushed below the columns that make it and evaluated per element
+    return ordered.select(*keys, "p", least.alias("least")).select(*keys, "p", F.explode_outer("least").alias("h")).where("h is not null")
 
 
 def _sized(rows: int, df: DataFrame) -> DataFrame:
@@ -51,15 +57,14 @@ def find_contaminated(documents: DataFrame, benchmark: DataFrame, *, width: int
     items = benchmark.select(F.col(item_col).alias("item"), words_of(F.col(item_text)).alias("words"))
     items = items.where(F.size("words") >= width).withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
     level = F.explode(F.sequence(F.lit(1), F.lit(LAST_PARTITION))).alias("p")
-    signed = items.select(_shingle_hashes(width).alias("s"), level).select("p", F.explode(_signature(F.col("p"), F.col("s"))).alias("h")).distinct()
-    signed = materialize(signed, "item-signatures")
+    signed = materialize(_signed(items.select(_shingle_hashes(width).alias("s"), level)).distinct(), "item-signatures")
     n_signed = signed.count()
 
     texts = documents.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    hashed = texts.select("doc", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes")).where(F.size("hashes") >= width)
+    hashed = texts.select("doc", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
     shingled = hashed.select("doc", _shingle_hashes(width).alias("s"))
     partition = F.least(F.lit(LAST_PARTITION), F.greatest(F.lit(1), F.ceil(F.log2(F.size("s").cast("double"))).cast("int")))
-    probes = shingled.withColumn("p", partition).select("doc", "p", F.explode(_signature(F.col("p"), F.col("s"))).alias("h"))
+    probes = _signed(shingled.withColumn("p", partition), "doc")
     candidates = materialize(probes.join(_sized(n_signed, signed), ["p", "h"], "left_semi").select("doc").distinct(), "candidates")
 
     chosen = candidates.select(F.col("doc").alias("chosen"))

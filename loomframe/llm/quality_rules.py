@@ -19,45 +19,50 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
 
-def _columns(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, words, hashes, twice, n_symbols, word_chars, n_dup_lines) for each row; no text is an empty one."""
+def _base(documents: DataFrame, doc: Column, text_col: str) -> DataFrame:
+    """(doc, hashes, grams, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) for each row.
+
+    Arrays that a later expression reads element by element are columns of their own, so that they are computed once.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = F.translate(text, " \t\n\x0b\x0c\r", "")
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = documents.select(
-        F.col(id_col).alias("doc"),
+    rows = documents.select(
+        doc.alias("doc"),
         F.transform(F.filter(F.split(text, SPACE), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("hashes"),
+        F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         F.length(bare).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
     )
-    h, n = F.col("hashes"), F.size("hashes")
+    h, n, none = F.col("hashes"), F.size("hashes"), F.array().cast("array<bigint>")
     windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])))
     pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1))))
-    none = F.array().cast("array<bigint>")
-    return out.withColumn("windows", F.coalesce(windows, none)).withColumn("grams", F.concat(h, F.coalesce(pairs, none)))
-
-
-def _repeated(windows: Column) -> Column:
-    """Words in windows that occur twice or more: each such window covers its words, and words are counted once."""
-    placed = F.array_sort(F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    rows = rows.select(
+        "*",
+        n.cast("long").alias("n_words"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.coalesce(windows, none).alias("windows"),
+        F.concat(h, F.coalesce(pairs, none)).alias("grams"),
+    ).drop("lines", "hashes")
+    rows = rows.withColumn("placed", _placed(F.col("windows"))).withColumn("n_repeat_words", _repeated_words(F.col("placed")))
+    return rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).drop("windows", "placed")
+
+
+def _placed(w: Column) -> Column:
+    """The windows (hash, place) in order; none where all differ."""
+    again = F.size(F.array_distinct(w)) < F.size(w)
+    return F.when(again, F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("i"))))).otherwise(F.array().cast("array<struct<w:bigint,i:int>>"))
+
+
+def _repeated_words(placed: Column) -> Column:
+    """Words in five-word windows that the text has twice or more, each word counted once."""
+    # in order of hash, a window that occurs again has an equal neighbour
     again = F.filter(placed, lambda x, i: (x["w"] == F.get(placed, i - 1)["w"]) | (x["w"] == F.get(placed, i + 1)["w"]))
-    starts = F.array_sort(F.transform(F.filter(F.transform(placed, lambda x, i: F.when((x["w"] == F.get(placed, i - 1)["w"]) | (x["w"] == F.get(placed, i + 1)["w"]), x["i"])), lambda x: x.isNotNull()), lambda x: x))
-    del again
-    covered = F.aggregate(
-        starts,
-        F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("long").alias("n")),
+    return F.aggregate(
+        F.sort_array(F.transform(again, lambda x: x["i"])),
+        F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("bigint").alias("n")),
         lambda acc, x: F.struct(x.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), x - acc["last"])).alias("n")),
         lambda acc: acc["n"],
     )
-    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(covered)
-
-
-def _base(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = _columns(documents, id_col, text_col)
-    n = F.size("hashes").cast("long")
-    rows = rows.withColumn("n_words", n).withColumn("n_repeat_words", _repeated(F.col("windows")))
-    return rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
 def log_ratios(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> list[float]:
@@ -66,9 +71,10 @@ def log_ratios(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     A document is trusted if it passes the base rules, repeats no line and no five-word window and has no symbol.
     All documents count, whole; what reaches the driver are the ``buckets`` counts.
     """
-    rows = _base(documents, id_col, text_col)
+    rows = _base(documents, F.col(id_col), text_col)
     trusted = ~F.col("base_failed") & (F.col("n_repeat_words") == 0) & (F.col("n_dup_lines") == 0) & (F.col("n_symbols") == 0)
-    grams = rows.select(trusted.cast("long").alias("t"), F.explode("grams").alias("g"))
+    # explode() would add a filter on the array's size, pushed below the columns that make it and evaluated per element
+    grams = rows.select(trusted.cast("long").alias("t"), "grams").select("t", F.explode_outer("grams").alias("g")).where("g is not null")
     counted = grams.groupBy(F.pmod("g", F.lit(buckets)).alias("b")).agg(F.count("*").alias("raw"), F.sum("t").alias("target")).collect()
     raw, target = [SMOOTHING] * buckets, [SMOOTHING] * buckets
     for b, r, t in counted:
@@ -78,6 +84,14 @@ def log_ratios(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return [math.log(t) - math.log(r) + shift for t, r in zip(target, raw)]
 
 
+def _scored(documents: DataFrame, doc: Column, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    ratios = log_ratios(documents, id_col=id_col, text_col=text_col, buckets=buckets)
+    table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
+    total = F.aggregate("grams", F.lit(0.0), lambda acc, g: acc + F.get(table, F.pmod(g, F.lit(buckets)).cast("int")))
+    rows = _base(documents, doc, text_col)
+    return rows.withColumn("score", F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(F.lit(0.0))).drop("grams")
+
+
 def judge_quality(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score.
 
@@ -85,18 +99,13 @@ def judge_quality(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     kept: not base_failed, and score >= threshold. A null text counts as an empty one, which fails the base rules. Rows
     that repeat an id, or have none, are judged each by its text. Empty input gives no rows. Only id and text are read.
     """
-    ratios = log_ratios(documents, id_col=id_col, text_col=text_col, buckets=buckets)
-    table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
-    rows = _base(documents, id_col, text_col)
-    total = F.aggregate("grams", F.lit(0.0), lambda acc, g: acc + F.get(table, F.pmod(g, F.lit(buckets)).cast("int")))
-    rows = rows.withColumn("score", F.when(F.size("grams") > 0, total / F.size("grams")).otherwise(F.lit(0.0)))
+    rows = _scored(documents, F.col(id_col), id_col, text_col, buckets)
     kept = ~F.col("base_failed") & (F.col("score") >= threshold)
     return rows.select(F.col("doc").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "score")
 
 
-def keep_good(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_good(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with all their columns, that ``judge_quality`` keeps."""
-    ratios = log_ratios(documents, id_col=id_col, text_col=text_col, buckets=options.get("buckets", BUCKETS))
-    del ratios
-    judged = judge_quality(documents, id_col=id_col, text_col=text_col, **options)
-    return judged
+    whole = F.struct(*[documents[c] for c in documents.columns])
+    rows = _scored(documents, whole, id_col, text_col, buckets)
+    return rows.where(~F.col("base_failed") & (F.col("score") >= threshold)).select("doc.*")
