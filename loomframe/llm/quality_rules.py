@@ -108,4 +108,6 @@ def keep_good(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """The documents, with all their columns, that ``judge_quality`` keeps."""
     whole = F.struct(*[documents[c] for c in documents.columns])
     rows = _scored(documents, whole, id_col, text_col, buckets)
-    return rows.where(~F.col("base_failed") & (F.col("score") >= threshold)).select("doc.*")
+    kept = rows.select("doc", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"))
+    # a filter on "kept" would be pushed below the columns that make it; one on a generated column stays above
+    return kept.select("doc", F.explode_outer(F.array("kept")).alias("stays")).where("stays").select("doc.*")

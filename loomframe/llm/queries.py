@@ -66,7 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_quality_classifier, op2_quality_rules, op3_mixing, op4_toxicity, op5_url_filters, op6_decontamination, op7_warc, op8_sharding, op9_jaccard_join, op10_language_id)
 }
 
-_WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), w -> w <> '')"
+_WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": rf"""
@@ -97,9 +97,9 @@ select doc_id, size, source_size, target,
 from placed""",
     "op6_decontamination": r"""
 with d as (
-  select doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), w -> w <> '') as w from documents
+  select doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents
 ), b as (
-  select item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), w -> w <> '') as w from benchmark
+  select item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from benchmark
 ), ds as (
   select distinct doc_id, array_to_string(w[i : i + 4], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from d)
 ), bs as (
@@ -125,7 +125,7 @@ select page_id, payload_bytes,
 from k""",
     "op9_jaccard_join": r"""
 with recursive d as (
-  select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), w -> w <> '') as w from documents
+  select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents
 ), s as (
   select distinct doc_id, array_to_string(w[i : i + 2], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) as i from d where len(w) > 0)
 ), n as (
