@@ -36,6 +36,8 @@ TREE_POINTS = 2048
 COUNT_BLOCK, COUNT_LEAST = 1_000_000, 4
 #: A shingle in one document of this many counts as frequent, so frequent ones number at most that times a document's mean shingles.
 FREQUENT_SHARE = 1000
+#: Ids and signatures (24 bytes each) up to which the texts to verify are chosen by a broadcast; beyond, by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def needed_overlap(total: np.ndarray, percent: int) -> np.ndarray:
@@ -123,17 +125,27 @@ def _points(documents: DataFrame, id_col: str, text_col: str, words: int, percen
     return rows.mapInArrow(run, "doc long, n long, sig binary, vec binary, keys array<long>")
 
 
-def _exact_sets(rows: DataFrame, words: int) -> DataFrame:
-    """(doc, sig, text) -> (doc, sig, members)."""
+def _exact_sets(texts: DataFrame, reps: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(doc, members) of the documents in ``pairs``; rows whose set is not the one that stands for their id are left out."""
+    both = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    wanted = materialize(both.join(reps.select(F.col("rep").alias("doc"), "sig"), "doc"), "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py(), words) for t in batch.column(1)]
-            flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-            members = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_signature(s) for s in sets], pa.binary()), members], names=["doc", "sig", "members"])
+            docs, sets = [], []
+            for doc, text, sig in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                s = shingle_set(text.as_py(), words)
+                if _signature(s) == sig:
+                    docs.append(doc)
+                    sets.append(s.view(np.int64))
+            members = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), members], names=["doc", "members"])
 
-    return rows.select("doc", "text").mapInArrow(run, "doc long, sig binary, members array<long>")
+    rows = texts.join(wanted, "doc").select("doc", "text", "sig")
+    # rows that repeat an id and its text have one set
+    return rows.mapInArrow(run, "doc long, members array<long>")
 
 
 def tree_join(block: np.ndarray, n: np.ndarray, vec: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -239,6 +251,7 @@ def _block_pairs(rows: DataFrame, percent: int, across: bool) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose exact sets meet the similarity."""
+    sets = sets.dropDuplicates(["doc"])
     left = sets.select(F.col("doc").alias("a"), F.col("members").alias("ma"))
     right = sets.select(F.col("doc").alias("b"), F.col("members").alias("mb"))
     both = F.size(F.array_intersect("ma", "mb"))
@@ -279,13 +292,14 @@ def similarity_classes(documents: DataFrame, *, id_col: str = "doc_id", text_col
         _points(documents, id_col, text_col, words, percent, frequent).join(reps.select(F.col("rep").alias("doc"), "sig"), ["doc", "sig"], "left_semi"),
         "points",
     )
-    size = F.count("*").over(Window.partitionBy("key"))
-    keyed = points.select(F.explode("keys").alias("key"), "doc", "n")
-    blocks = materialize(keyed.withColumn("held", size).where("held > 1"), "blocks")
-    vectors = points.groupBy("doc", "n").agg(F.first("vec").alias("vec"))
-    meeting = blocks.select("doc").distinct()
-    texts = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).join(meeting, "doc", "left_semi")
-    sets = materialize(_exact_sets(texts, words).join(reps.select(F.col("rep").alias("doc"), "sig"), ["doc", "sig"], "left_semi").select("doc", "members"), "members")
+    # a point stays in a block if the size next to its own, above or below, is close enough for the similarity
+    by_size = Window.partitionBy("key").orderBy("n")
+    close = (100 * F.lag("n").over(by_size) >= percent * F.col("n")) | (percent * F.lead("n").over(by_size) <= 100 * F.col("n"))
+    keyed = points.select(F.explode("keys").alias("key"), "doc", "n").withColumn("close", F.coalesce(close, F.lit(False)))
+    held = F.count("*").over(Window.partitionBy("key"))
+    blocks = materialize(keyed.where("close").drop("close").withColumn("held", held), "blocks")
+    vectors = points.select("doc", "n", "vec").dropDuplicates(["doc"])
+    texts = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
 
     # links between the sets that rows of one id have, whatever the sets
     owned = rows.where("n > 0 and doc is not null").join(reps.select("sig", "rep"), "sig").select("doc", "rep")
@@ -295,15 +309,16 @@ def similarity_classes(documents: DataFrame, *, id_col: str = "doc_id", text_col
     parts = F.ceil(F.col("held") / TREE_POINTS).cast("long")
     chunk, tiles = _tile(parts)
     first = blocks.withColumn("comp", F.col("doc")).select(F.col("key").alias("bid"), chunk.alias("tile"), "doc", "n", "comp", F.lit(2).alias("side"))
-    pairs = _block_pairs(first.join(vectors, ["doc", "n"]), percent, across=False)
-    links = materialize(_verified(pairs, sets, percent).union(own), "links")
+    pairs = materialize(_block_pairs(first.join(vectors, ["doc", "n"]), percent, across=False), "pairs")
+    links = materialize(_verified(pairs, _exact_sets(texts, reps, pairs, words), percent).union(own), "links")
     merged = connected_components(links)
 
     in_class = blocks.join(merged.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
     of_key = Window.partitionBy("key")
     open_blocks = in_class.withColumn("low", F.min("comp").over(of_key)).withColumn("high", F.max("comp").over(of_key)).where("low < high")
     second = open_blocks.select(F.col("key").alias("bid"), "doc", "n", "comp", F.explode(tiles).alias("t")).select("bid", "t.tile", "doc", "n", "comp", "t.side")
-    rest = _verified(_block_pairs(second.join(vectors, ["doc", "n"]), percent, across=True), sets, percent)
+    pairs = materialize(_block_pairs(second.join(vectors, ["doc", "n"]), percent, across=True), "pairs")
+    rest = _verified(pairs, _exact_sets(texts, reps, pairs, words), percent)
     links = materialize(rest.union(merged.where("node <> component").select("component", "node")), "links")
     classes = connected_components(links)
 
