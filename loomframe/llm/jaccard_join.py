@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 from loomframe.llm._common import materialize, mix, shingle_set, sorted_distinct
 from loomframe.llm.components import connected_components
 
-#: Coordinates of a point.
-GROUPS = 32
+#: Coordinates of a point. Two unrelated sets of n members differ by about 1.1 sqrt(n GROUPS) in all, and the similarity
+#: allows a tenth of n, so 256 groups tell sets of up to some 25,000 shingles apart before any set is moved.
+GROUPS = 256
+#: The largest count that a coordinate holds; a coordinate with it bounds nothing.
+FULL = 65535
 #: Children of a tree node.
 FANOUT = 16
 #: Points of one tree; larger blocks are joined tile by tile.
@@ -112,7 +115,7 @@ def _points(documents: DataFrame, id_col: str, text_col: str, words: int, percen
                 keep.append(i)
                 n.append(len(s))
                 sig.append(_signature(s))
-                vec.append(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.intp), minlength=GROUPS).astype(np.uint32).tobytes())
+                vec.append(np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.intp), minlength=GROUPS), FULL).astype(np.uint16).tobytes())
                 keys.append(chosen.view(np.int64))
             lengths = np.cumsum([0, *map(len, keys)])
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
@@ -160,6 +163,7 @@ def tree_join(block: np.ndarray, n: np.ndarray, vec: np.ndarray, side: np.ndarra
     place = np.arange(len(block)) - np.repeat(starts, np.diff(np.append(starts, len(block))))
     # levels[k]: the first child of each node, the boxes' largest counts and their sizes' range
     levels = [(None, vec, n, n)]
+    unbounded = len(vec) and int(vec.max()) == FULL
     cuts = [place % FANOUT**k == 0 for k in (1, 2, 3)]
     for k, cut in enumerate(cuts):
         first_point = np.flatnonzero(cut)
@@ -174,7 +178,7 @@ def tree_join(block: np.ndarray, n: np.ndarray, vec: np.ndarray, side: np.ndarra
         child = levels[level][0]
         size_a, size_b = child[a + 1] - child[a], child[b + 1] - child[b]
         many = np.cumsum(size_a * size_b)
-        if len(a) > 1 and many[-1] > 150_000:
+        if len(a) > 1 and many[-1] > 40_000:
             half = max(1, min(len(a) - 1, int(np.searchsorted(many, many[-1] // 2))))
             stack += [(level, a[:half], b[:half]), (level, a[half:], b[half:])]
             continue
@@ -190,7 +194,10 @@ def tree_join(block: np.ndarray, n: np.ndarray, vec: np.ndarray, side: np.ndarra
         if level == 1:
             fits &= (side[x] != side[y]) | (side[x] == 2)
         x, y = x[fits], y[fits]
-        bound = np.minimum(box[x], box[y]).sum(axis=1, dtype=np.int64)
+        least = np.minimum(box[x], box[y])
+        bound = least.sum(axis=1, dtype=np.int64)
+        if unbounded:
+            bound[(least == FULL).any(axis=1)] = np.iinfo(np.int64).max
         fits = bound >= needed_overlap(low[x] + low[y], percent)
         x, y = x[fits], y[fits]
         if level == 1:
@@ -210,7 +217,7 @@ def _block_pairs(rows: DataFrame, percent: int, across: bool) -> DataFrame:
             doc, comp = rows["doc"].to_numpy(), rows["comp"].to_numpy()
             key = rows[["bid", "tile"]].to_numpy()
             block = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]).any(axis=1))))
-            vec = np.frombuffer(b"".join(rows["vec"]), np.uint32).reshape(-1, GROUPS)
+            vec = np.frombuffer(b"".join(rows["vec"]), np.uint16).reshape(-1, GROUPS)
             found = []
             best = np.arange(len(doc))
             for x, y in tree_join(block, rows["n"].to_numpy(), vec, rows["side"].to_numpy(), percent):
