@@ -27,8 +27,8 @@ from loomframe.llm._common import materialize, mix, shingle_set, sorted_distinct
 from loomframe.llm.components import connected_components
 
 #: Coordinates of a point. Two unrelated sets of n members differ by about 1.1 sqrt(n GROUPS) in all, and the similarity
-#: allows a tenth of n, so 256 groups tell sets of up to some 25,000 shingles apart before any set is moved.
-GROUPS = 256
+#: allows a tenth of n, so 128 groups tell sets of up to some 12,000 shingles apart before any set is moved.
+GROUPS = 128
 #: The largest count that a coordinate holds; a coordinate with it bounds nothing.
 FULL = 65535
 #: Children of a tree node.
