@@ -136,7 +136,7 @@ def fit_toxicity(rows: list[tuple[str, int]], settings: ToxicitySettings = Toxic
     for _ in range(s.rounds):
         z = np.bincount(row, weights=(look * scale)[col], minlength=len(y)) + look_bias
         d = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g = np.bincount(col, weights=d[row], minlength=len(words))
+        g = np.bincount(col, weights=d[row], minlength=len(words)).astype(np.float64)
         if pairs:
             change = np.bincount(row_a, weights=(look * scale)[col_a], minlength=len(pairs)) - np.bincount(row_b, weights=(look * scale)[col_b], minlength=len(pairs))
             change *= s.fairness / len(pairs)
