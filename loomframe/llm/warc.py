@@ -36,7 +36,10 @@ def digest_of(payload: bytes) -> str:
 def train_dictionary(pages: DataFrame, id_col: str, html_col: str) -> bytes:
     """A dictionary from a bounded sample in order of id hash; its content is the sample itself where training finds too little."""
     html = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.where(F.octet_length(html).between(1, SAMPLE_BYTES)).select(F.xxhash64(id_col, html_col).alias("h"), html.alias("html")).orderBy("h", "html").limit(SAMPLE_PAGES).collect()
+    sized = pages.where(F.octet_length(html).between(1, SAMPLE_BYTES)).select(F.xxhash64(id_col, html_col).alias("h"), html.alias("html"))
+    # hashes are drawn first: texts of one sample reach the driver, not those of one sample per task
+    drawn = [r.h for r in sized.select("h").distinct().orderBy("h").limit(SAMPLE_PAGES).collect()]
+    rows = sized.where(F.col("h") <= drawn[-1]).groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect() if drawn else []
     samples = [r.html.encode("utf-8", "surrogatepass") for r in rows]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
