@@ -3,7 +3,8 @@
 Every document is a set of word shingles. Shingle hashes fall into ``GROUPS`` groups; the counts per group are the
 document's point. The overlap of two sets is at most the sum over groups of the smaller count, and the same holds for
 two boxes of an R-tree with their largest counts, so a join of trees that drops box pairs below the overlap that the
-similarity asks for loses nothing. Surviving pairs are verified on the exact sets.
+similarity asks for loses nothing. Surviving pairs meet the same bound once more on points whose number of groups grows
+with the set, at a byte a group; what is left is verified on the exact sets.
 
 One tree over a whole corpus would not be distributable, so points are first dealt to blocks that provably hold every
 pair: two sets of similarity ``t`` share a shingle among the first ``n - ceil(t n) + 1`` of each under any common order.
@@ -31,6 +32,8 @@ from loomframe.llm.components import connected_components
 GROUPS = 128
 #: The largest count that a coordinate holds; a coordinate with it bounds nothing.
 FULL = 65535
+#: Members of a set to a group of its fine point, on average between half of this and this; the number of groups is a power of 2.
+FINE_MEMBERS, FINE_FULL = 4, 255
 #: Children of a tree node.
 FANOUT = 16
 #: Points of one tree; larger blocks are joined tile by tile.
@@ -92,14 +95,31 @@ def _signature(s: np.ndarray) -> bytes:
         return np.array([mix(s).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s ^ np.uint64(0x5851F42D4C957F2D)), initial=np.uint64(len(s)))], np.uint64).tobytes()
 
 
+def fine_point(s: np.ndarray) -> bytes:
+    """Counts of a set's members per group, at FINE_MEMBERS a group or fewer; a count of FINE_FULL bounds nothing."""
+    groups = 1 << max(0, math.ceil(math.log2(len(s) / FINE_MEMBERS)))
+    return np.minimum(np.bincount((s & np.uint64(groups - 1)).astype(np.intp), minlength=groups), FINE_FULL).astype(np.uint8).tobytes()
+
+
+def fine_overlap(a: bytes, b: bytes) -> int | None:
+    """An upper bound of the overlap of two sets by their fine points; None where a full count leaves it open."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if x.max() == FINE_FULL or y.max() == FINE_FULL:
+        return None
+    groups = min(len(x), len(y))
+    # a group of fewer groups is the union of those with the same low bits
+    x, y = (v.reshape(-1, groups).sum(axis=0, dtype=np.int64) for v in (x, y))
+    return int(np.minimum(x, y).sum())
+
+
 def _points(documents: DataFrame, id_col: str, text_col: str, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(doc, n, sig, vec, keys): the point of every set that is not empty, and its blocks."""
+    """(doc, n, sig, vec, fine, keys): the points of every set that is not empty, and its blocks."""
     shared = documents.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value
         for batch in batches:
-            keep, n, sig, vec, keys = [], [], [], [], []
+            keep, n, sig, vec, fine, keys = [], [], [], [], [], []
             for i, text in enumerate(batch.column(1)):
                 s = shingle_set(text.as_py(), words)
                 if not len(s):
@@ -116,16 +136,17 @@ def _points(documents: DataFrame, id_col: str, text_col: str, words: int, percen
                 n.append(len(s))
                 sig.append(_signature(s))
                 vec.append(np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.intp), minlength=GROUPS), FULL).astype(np.uint16).tobytes())
+                fine.append(fine_point(s))
                 keys.append(chosen.view(np.int64))
             lengths = np.cumsum([0, *map(len, keys)])
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(keep, pa.int64())), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(vec, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat))],
-                names=["doc", "n", "sig", "vec", "keys"],
+                [batch.column(0).take(pa.array(keep, pa.int64())), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(vec, pa.binary()), pa.array(fine, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat))],
+                names=["doc", "n", "sig", "vec", "fine", "keys"],
             )
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc long, n long, sig binary, vec binary, keys array<long>")
+    return rows.mapInArrow(run, "doc long, n long, sig binary, vec binary, fine binary, keys array<long>")
 
 
 def _exact_sets(texts: DataFrame, reps: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
@@ -256,6 +277,21 @@ def _block_pairs(rows: DataFrame, percent: int, across: bool) -> DataFrame:
     return rows.repartition("bid", "tile").sortWithinPartitions("bid", "tile").mapInPandas(run, "a long, b long").distinct()
 
 
+def _promising(pairs: DataFrame, fine: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose fine points do not rule the similarity out; ``fine`` has (doc, n, fine)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            need = needed_overlap(batch.column("na").to_numpy() + batch.column("nb").to_numpy(), percent)
+            bounds = (fine_overlap(x.as_py(), y.as_py()) for x, y in zip(batch.column("fa"), batch.column("fb")))
+            fits = pa.array([bound is None or bound >= least for bound, least in zip(bounds, need)], pa.bool_())
+            yield batch.select(["a", "b"]).filter(fits)
+
+    left = fine.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("fine").alias("fa"))
+    right = fine.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("fb"))
+    return pairs.join(right, "b").join(left, "a").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs whose exact sets meet the similarity."""
     sets = sets.dropDuplicates(["doc"])
@@ -306,6 +342,7 @@ def similarity_classes(documents: DataFrame, *, id_col: str = "doc_id", text_col
     held = F.count("*").over(Window.partitionBy("key"))
     blocks = materialize(keyed.where("close").drop("close").withColumn("held", held), "blocks")
     vectors = points.select("doc", "n", "vec").dropDuplicates(["doc"])
+    fine = points.select("doc", "n", "fine").dropDuplicates(["doc"])
     texts = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
 
     # links between the sets that rows of one id have, whatever the sets
@@ -316,7 +353,7 @@ def similarity_classes(documents: DataFrame, *, id_col: str = "doc_id", text_col
     parts = F.ceil(F.col("held") / TREE_POINTS).cast("long")
     chunk, tiles = _tile(parts)
     first = blocks.withColumn("comp", F.col("doc")).select(F.col("key").alias("bid"), chunk.alias("tile"), "doc", "n", "comp", F.lit(2).alias("side"))
-    pairs = materialize(_block_pairs(first.join(vectors, ["doc", "n"]), percent, across=False), "pairs")
+    pairs = materialize(_promising(_block_pairs(first.join(vectors, ["doc", "n"]), percent, across=False), fine, percent), "pairs")
     links = materialize(_verified(pairs, _exact_sets(texts, reps, pairs, words), percent).union(own), "links")
     merged = connected_components(links)
 
@@ -324,7 +361,7 @@ def similarity_classes(documents: DataFrame, *, id_col: str = "doc_id", text_col
     of_key = Window.partitionBy("key")
     open_blocks = in_class.withColumn("low", F.min("comp").over(of_key)).withColumn("high", F.max("comp").over(of_key)).where("low < high")
     second = open_blocks.select(F.col("key").alias("bid"), "doc", "n", "comp", F.explode(tiles).alias("t")).select("bid", "t.tile", "doc", "n", "comp", "t.side")
-    pairs = materialize(_block_pairs(second.join(vectors, ["doc", "n"]), percent, across=True), "pairs")
+    pairs = materialize(_promising(_block_pairs(second.join(vectors, ["doc", "n"]), percent, across=True), fine, percent), "pairs")
     rest = _verified(pairs, _exact_sets(texts, reps, pairs, words), percent)
     links = materialize(rest.union(merged.where("node <> component").select("component", "node")), "links")
     classes = connected_components(links)
