@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 #: Regular expression for the separators between words: space and the ASCII controls 0x09-0x0D.
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Rows and bytes of an Arrow batch on its way to Python and back.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
 _OWN_DIRS: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
@@ -42,10 +47,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """While a table is written, Arrow batches hold BATCH_ROWS rows and about BATCH_BYTES bytes at most, not 10,000 texts."""
+    limits = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    before = {k: spark.conf.get(k, None) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
 @atexit.register
 def _remove_written() -> None:
     for spark, path in _WRITTEN:

@@ -137,7 +137,7 @@ def _points(documents: DataFrame, id_col: str, text_col: str, words: int, percen
                 sig.append(_signature(s))
                 vec.append(np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.intp), minlength=GROUPS), FULL).astype(np.uint16).tobytes())
                 fine.append(fine_point(s))
-                keys.append(chosen.view(np.int64))
+                keys.append(chosen.view(np.int64).copy())  # a slice would keep the whole set
             lengths = np.cumsum([0, *map(len, keys)])
             flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
