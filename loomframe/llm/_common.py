@@ -43,12 +43,16 @@ def new_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: lineage ends there, a lost executor costs nothing.
 
+    The shuffle files behind the table are let go.
+
     The result has the same rows and columns; an empty input gives an empty table.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
     with _small_batches(spark):
         df.write.parquet(path)
+    # shuffle files go when the driver's JVM collects the finished plan; unasked, it may hold them for half an hour
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
