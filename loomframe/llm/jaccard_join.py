@@ -173,10 +173,11 @@ def _exact_sets(texts: DataFrame, reps: DataFrame, pairs: DataFrame, words: int)
 
 
 def tree_join(block: np.ndarray, n: np.ndarray, vec: np.ndarray, side: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs that may meet the similarity, from a self-join of one R-tree per block.
+    """Index pairs that may meet the similarity, from a join of all R-trees of a block with each other.
 
-    ``block`` must be in order, with at most FANOUT**3 points each. ``side``: 2 joins with all, 0 only with 1 and 2. The
-    trees are packed: points in order of size, FANOUT to a leaf, FANOUT leaves to a node, the block's nodes to its root.
+    ``block`` must be in order. ``side``: 2 joins with all, 0 only with 1 and 2. The trees are packed: points in order of
+    size, FANOUT to a leaf, FANOUT leaves to a node, FANOUT nodes to a root; a block of more than FANOUT**3 points has
+    several roots, and every two of them meet.
     """
     order = np.lexsort((vec[:, 0], n, block))
     block, n, vec, side = block[order], n[order], vec[order], side[order]
@@ -192,8 +193,12 @@ def tree_join(block: np.ndarray, n: np.ndarray, vec: np.ndarray, side: np.ndarra
         child = below[first_point]
         _, box, low, high = levels[-1]
         levels.append((np.append(child, len(low)), np.maximum.reduceat(box, child), np.minimum.reduceat(low, child), np.maximum.reduceat(high, child)))
-    roots = np.arange(len(levels[3][2]))
-    stack = [(3, roots, roots)]
+    root_block = block[cuts[2]]
+    # each root meets itself and all later roots of its block
+    mates = np.searchsorted(root_block, root_block, side="right") - np.arange(len(root_block))
+    first = np.repeat(np.arange(len(root_block)), mates)
+    second = first + np.arange(len(first)) - np.repeat(np.cumsum(mates) - mates, mates)
+    stack = [(3, first, second)]
     while stack:
         level, a, b = stack.pop()
         child = levels[level][0]

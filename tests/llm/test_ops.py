@@ -4,6 +4,7 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from loomframe.llm import queries
 from loomframe.llm.decontamination import drop_contaminated, find_contaminated
-from loomframe.llm.jaccard_join import keep_one_per_class, similarity_classes
+from loomframe.llm.jaccard_join import GROUPS, keep_one_per_class, needed_overlap, similarity_classes, tree_join
 from loomframe.llm.language_id import identify_languages
 from loomframe.llm.mixing import mix_sources, plan_mix
 from loomframe.llm.quality_cnn import CnnSettings, score_quality
@@ -109,6 +110,24 @@ def test_many_near_copies_are_one_class(spark):
     assert out.select("component_id").distinct().count() == 1
 
 
+def test_tree_join_of_large_blocks_by_brute_force():
+    rng = np.random.default_rng(3)
+    block = np.repeat([0, 1, 2], [4500, 40, 9000])
+    n = rng.integers(1, 60, len(block))
+    vec = np.zeros((len(block), GROUPS), np.uint16)
+    np.add.at(vec, (np.repeat(np.arange(len(n)), n), rng.integers(0, 12, n.sum())), 1)
+    side = np.where(block == 2, rng.integers(0, 3, len(block)), 2)
+    got = [(min(p), max(p)) for x, y in tree_join(block, n, vec, side, 90) for p in zip(x.tolist(), y.tolist())]
+    want = set()
+    for i in range(len(block)):
+        j = np.arange(i + 1, np.searchsorted(block, block[i], side="right"))
+        j = j[(side[j] != side[i]) | (side[j] == 2)]
+        j = j[(100 * n[j] >= 90 * n[i]) & (100 * n[i] >= 90 * n[j])]
+        overlap = np.minimum(vec[i, :12], vec[j, :12]).sum(axis=1, dtype=np.int64)
+        want |= {(i, k) for k in j[overlap >= needed_overlap(n[i] + n[j], 90)].tolist()}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 @pytest.mark.parametrize("name", ["op3_mixing", "op6_decontamination", "op7_warc", "op9_jaccard_join"])
 def test_query_matches_sql(spark, name):
     assert compare(spark, SF, name) is None
