@@ -80,7 +80,10 @@ def find_contaminated(documents: DataFrame, benchmark: DataFrame, *, width: int
     return held.where(100 * F.col("n_shared") >= percent * F.col("n_item")).select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "n_shared", "n_item")
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents, with all their columns, that hold no item; ids decide, so rows that repeat an id go together."""
-    found = materialize(find_contaminated(documents, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("__lf_found")).distinct(), "contaminated")
-    return documents.join(_sized(found.count(), found), documents[id_col].eqNullSafe(found["__lf_found"]), "left_anti")
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents, with all their columns, that hold no item. Each row's own text decides, also where ids repeat or are null."""
+    row = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    rows = documents.select(row.alias("__lf_row"), text_col)
+    found = find_contaminated(rows, benchmark, id_col="__lf_row", text_col=text_col, **options).select(F.col("__lf_row").alias("__lf_found")).distinct()
+    found = materialize(found, "contaminated")
+    return documents.join(_sized(found.count(), found), row.eqNullSafe(F.col("__lf_found")), "left_anti")

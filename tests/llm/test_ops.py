@@ -133,6 +133,15 @@ def test_query_matches_sql(spark, name):
     assert compare(spark, SF, name) is None
 
 
+def test_only_rows_that_hold_an_item_go(spark):
+    item = " ".join(f"q{i}" for i in range(14))
+    clean = [(None, "nothing of it here at all", "en", "a"), (None, None, None, None), (1, "a clean text of some words", "en", "a"), (2, "", "en", "a")]
+    rows = docs(spark, [*clean, (None, "x " + item, "en", "a"), (1, item + " y", "en", "a"), (1, item + " y", "en", "a"), (3, item, "en", "a")])
+    out = drop_contaminated(rows, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted((r.doc_id, r.text) for r in out.collect() if r.doc_id) == [(1, clean[2][1]), (2, "")]
+    assert {r.text for r in out.collect() if not r.doc_id} == {clean[0][1], None} and out.count() == 4
+
+
 def test_mix_emits_what_is_planned(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet")
     plan = {r.doc_id: r.copies for r in plan_mix(rows).collect()}
