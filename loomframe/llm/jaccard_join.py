@@ -386,13 +386,18 @@ def _frequent(found: DataFrame) -> np.ndarray:
 
 
 def keep_one_per_class(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, with all their columns, that are the smallest id of their class; rows that repeat an id are kept once.
+    """The documents, with all their columns, that are the smallest id of their class; of equal rows of an id one stays.
 
-    Among rows that repeat an id the one with the least (text hash, text) stays. Rows without an id stay.
+    Classes are of texts, not of ids: a hash of (id, text) is the node, so unrelated texts under one id are kept each.
+    Among linked texts of the smallest id the one with the least hash stays. Rows without an id stay.
     """
-    classes = similarity_classes(documents, id_col=id_col, text_col=text_col, words=words, percent=percent)
-    kept = classes.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__lf_kept")).distinct()
-    chosen = documents.join(kept, documents[id_col] == kept["__lf_kept"], "left_semi")
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col))
+    node = F.xxhash64(id_col, text_col)
+    known = documents.where(F.col(id_col).isNotNull())
+    nodes = known.select(F.col(id_col).alias("id"), node.alias("node"), F.col(text_col).alias("text"))
+    classes = similarity_classes(nodes, id_col="node", text_col="text", words=words, percent=percent)
+    owners = nodes.select("id", "node").distinct()
+    least = owners.join(classes.select("node", "component_id").distinct(), "node").groupBy("component_id").agg(F.min(F.struct("id", "node")).alias("least"))
+    chosen = known.join(least.select(F.col("least.node").alias("__lf_kept")), node == F.col("__lf_kept"), "left_semi")
+    rank = F.row_number().over(Window.partitionBy(node).orderBy(F.lit(0)))
     one = chosen.withColumn("__lf_rank", rank).where("__lf_rank = 1").drop("__lf_rank")
     return one.union(documents.where(F.col(id_col).isNull()))

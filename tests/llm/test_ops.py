@@ -128,6 +128,15 @@ def test_tree_join_of_large_blocks_by_brute_force():
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_unrelated_texts_of_one_id_are_kept(spark):
+    other = " ".join(f"o{i}" for i in range(40))
+    third = " ".join(f"t{i}" for i in range(40))
+    rows = docs(spark, [(1, PROSE, "en", "a"), (1, PROSE, "en", "a"), (1, other, "en", "a"), (1, other + " x", "en", "a"), (2, PROSE, "en", "a"), (2, third, "en", "a"), (3, third + " y", "en", "a"), (None, PROSE, "en", "a")])
+    out = [(r.doc_id, r.text) for r in keep_one_per_class(rows).collect()]
+    assert len(out) == 4 and {(1, PROSE), (2, third), (None, PROSE)} < set(out)
+    assert len({(1, other), (1, other + " x")} & set(out)) == 1
+
+
 @pytest.mark.parametrize("name", ["op3_mixing", "op6_decontamination", "op7_warc", "op9_jaccard_join"])
 def test_query_matches_sql(spark, name):
     assert compare(spark, SF, name) is None
