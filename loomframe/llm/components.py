@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomframe.llm._common import materialize
@@ -20,11 +20,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least(F.col("u"), F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = F.min("v").over(Window.partitionBy("u"))
+        # minima are aggregated before any shuffle, and a join on a node of very many edges is split by AQE
+        lowest = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.where("v > u").join(lowest, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
-            large.withColumn("m", lowest)
+            large.join(lowest, "u")
             .select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.*")
             .where("u <> v")

@@ -117,7 +117,7 @@ def test_tree_join_of_large_blocks_by_brute_force():
     vec = np.zeros((len(block), GROUPS), np.uint16)
     np.add.at(vec, (np.repeat(np.arange(len(n)), n), rng.integers(0, 12, n.sum())), 1)
     side = np.where(block == 2, rng.integers(0, 3, len(block)), 2)
-    got = [(min(p), max(p)) for x, y in tree_join(block, n, vec, side, 90) for p in zip(x.tolist(), y.tolist())]
+    got = [(min(p), max(p)) for x, y, _ in tree_join(block, n, vec, side, 90) for p in zip(x.tolist(), y.tolist())]
     want = set()
     for i in range(len(block)):
         j = np.arange(i + 1, np.searchsorted(block, block[i], side="right"))
@@ -128,6 +128,72 @@ def test_tree_join_of_large_blocks_by_brute_force():
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def components(nodes, links):
+    parent = {i: i for i in nodes}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        parent[b] = a
+    return {i: root(i) for i in parent}
+
+
+def shingles(text, width):
+    w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+
+
+def alike(a, b, percent):
+    return bool(a and b) and 100 * len(a & b) >= percent * len(a | b)
+
+
+def test_texts_of_one_id_link_what_each_links(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a, "en", "a"), (1, b, "en", "a"), (2, a + " x", "en", "a"), (3, b + " y", "en", "a"), (0, "z " + b, "en", "a"), (9, "alone", "en", "a"), (9, a + " q", "en", "a"), (8, "alone", "en", "a"), (7, "other", "en", "a")]
+    sets = [(i, shingles(t, 5)) for i, t, *_ in rows]
+    want = components([i for i, _ in sets], [(i, j) for i, x in sets for j, y in sets if alike(x, y, 80)])
+    got = {r.doc_id: r.component_id for r in similarity_classes(docs(spark, rows)).collect()}
+    assert got == want == {**dict.fromkeys((0, 1, 2, 3, 8, 9), 0), 7: 7}
+
+
+@pytest.mark.parametrize("many", [5000, 10000])
+def test_links_inside_large_blocks_of_frequent_shingles(spark, many):
+    """All words are frequent, so every link lies in blocks of more points than a tree or a tile holds."""
+    rng = np.random.default_rng(many)
+    member = np.zeros((many, 150), np.int64)
+    for i in range(many):
+        member[i, rng.choice(150, 10, replace=False)] = 1
+        if i % 100 == 99:
+            member[i] = member[rng.integers(0, i)]
+            member[i, rng.choice(np.flatnonzero(member[i] == 0))] = 1
+    rows = [(i, " ".join(f"w{k}" for k in np.flatnonzero(m)), "en", "a") for i, m in enumerate(member)]
+    size = member.sum(axis=1)
+    links = []
+    for i in range(many):
+        both = member[i + 1 :] @ member[i]
+        links += [(i, i + 1 + int(j)) for j in np.flatnonzero(100 * both >= 90 * (size[i] + size[i + 1 :] - both))]
+    got = {r.doc_id: r.component_id for r in similarity_classes(docs(spark, rows), words=1, percent=90).collect()}
+    assert len(links) >= many // 100 and got == components(range(many), links)
+
+
+@pytest.mark.parametrize(("words", "percent"), [(1, 60), (3, 90), (5, 80)])
+def test_families_of_near_copies_by_brute_force(spark, words, percent):
+    rng = np.random.default_rng(words)
+    rows = []
+    for i in range(600):
+        base = [f"b{i % 3}-{k}" for k in range(30 + 40 * (i % 3))]
+        for _ in range(rng.integers(0, 6)):
+            base[rng.integers(0, len(base))] = f"e{rng.integers(0, 40)}"
+        rows.append((i, " ".join(base), "en", "a"))
+    sets = [shingles(t, words) for _, t, *_ in rows]
+    want = components(range(600), [(i, j) for i in range(600) for j in range(i) if alike(sets[i], sets[j], percent)])
+    assert {r.doc_id: r.component_id for r in similarity_classes(docs(spark, rows), words=words, percent=percent).collect()} == want
+
+
 def test_unrelated_texts_of_one_id_are_kept(spark):
     other = " ".join(f"o{i}" for i in range(40))
     third = " ".join(f"t{i}" for i in range(40))
