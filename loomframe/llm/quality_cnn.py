@@ -18,14 +18,13 @@ from loomframe.llm._sample import labelled_texts
 class CnnSettings:
     """Bounds and shape. The network learns from at most ``rows_per_class`` texts a class, of at most ``max_bytes`` each."""
 
-    filters: int = 8
-    width: int = 5
+    filters: int = 12
+    width: int = 10
     #: A chunk is two neighbouring blocks of this many positions, so chunks overlap by half.
     block: int = 128
-    lags: tuple[int, int] = (2, 24)
     rows_per_class: int = 500
     max_bytes: int = 4096
-    epochs: int = 12
+    epochs: int = 16
     batch: int = 25
     rate: float = 0.02
     decay: float = 1e-4
@@ -35,37 +34,24 @@ class CnnSettings:
 
 
 class ByteCnn:
-    """Bytes -> filters over ``width`` bytes -> ReLU -> mean per chunk -> maximum over chunks -> one probability.
-
-    A position's input is its byte and one more channel: whether its four bytes stand a few bytes earlier as well.
-    """
+    """Bytes -> filters over ``width`` bytes -> ReLU -> mean per chunk -> maximum over chunks -> one probability."""
 
     def __init__(self, settings: CnnSettings):
         self.s = s = settings
         rng = np.random.default_rng(s.seed)
         self.p = {
             "bytes": rng.normal(0, 0.15, (s.width, 256, s.filters)).astype(np.float32),
-            "again": rng.normal(0.2, 0.3, s.filters).astype(np.float32),
             "bias": np.zeros(s.filters, np.float32),
             "out": rng.normal(0, 0.5, s.filters).astype(np.float32),
             "base": np.zeros(1, np.float32),
         }
 
-    def _again(self, raw: np.ndarray) -> np.ndarray:
-        gram = np.lib.stride_tricks.sliding_window_view(np.concatenate((raw, np.zeros(3, np.uint8))), 4)
-        gram = np.ascontiguousarray(gram).view(np.uint32)[:, 0]
-        out = np.zeros(len(raw), bool)
-        for lag in range(*self.s.lags):
-            out[lag:] |= gram[lag:] == gram[:-lag]
-        return out
-
-    def _hidden(self, raw: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _hidden(self, raw: np.ndarray, n: int) -> np.ndarray:
         """Filter outputs at the first ``n`` positions; ``raw`` is padded by width - 1 bytes."""
-        again = self._again(raw)[:n]
-        h = self.p["bias"] + again[:, None] * self.p["again"]
+        h = np.repeat(self.p["bias"][None, :], n, axis=0)
         for j in range(self.s.width):
             h += self.p["bytes"][j][raw[j : j + n]]
-        return np.maximum(h, 0, out=h), again, raw
+        return np.maximum(h, 0, out=h)
 
     def _chunk_means(self, h: np.ndarray) -> np.ndarray:
         b = self.s.block
@@ -83,7 +69,7 @@ class ByteCnn:
         raw = np.frombuffer(data + bytes(s.width), np.uint8)
         for at in range(0, max(1, n - s.block if n > s.segment else n), s.segment):
             upto = min(n, at + s.segment + s.block)
-            h, _, _ = self._hidden(raw[at : upto + s.width - 1], upto - at)
+            h = self._hidden(raw[at : upto + s.width - 1], upto - at)
             best = np.maximum(best, self._chunk_means(h).max(axis=0))
         return best
 
@@ -122,7 +108,7 @@ class ByteCnn:
     def _gradient(self, data: bytes, label: int, weight: float, g: dict[str, np.ndarray]) -> None:
         s, n = self.s, max(1, len(data))
         raw = np.frombuffer(data + bytes(s.width), np.uint8)
-        h, again, raw = self._hidden(raw[: n + s.width - 1], n)
+        h = self._hidden(raw[: n + s.width - 1], n)
         means = self._chunk_means(h)
         at = means.argmax(axis=0)
         top = means[at, np.arange(s.filters)]
@@ -138,7 +124,6 @@ class ByteCnn:
                 continue
             d = dz * self.p["out"][f] / (hi - lo)
             g["bias"][f] += d * len(live)
-            g["again"][f] += d * again[live].sum()
             for j in range(s.width):
                 g["bytes"][j, :, f] += d * np.bincount(raw[live + j], minlength=256)
 
