@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,8 +22,7 @@ def labelled_texts(documents: DataFrame, labels: DataFrame, label_col: str, *, r
     texts = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).between(1, max_bytes))
     # at most four times rows_per_class ids: broadcast by a parameter's bound
     found = texts.join(F.broadcast(drawn), "id").select("label", order.alias("h"), "id", "text").dropDuplicates(["id"])
-    out = []
-    for label in (0, 1):
-        rows = found.where(F.col("label") == label).orderBy("h", "id").limit(rows_per_class).collect()
-        out += [(r.text, label) for r in rows]
-    return out
+    # a window over the few rows drawn
+    place = F.row_number().over(Window.partitionBy("label").orderBy("h", "id"))
+    rows = found.withColumn("place", place).where(F.col("place") <= rows_per_class).orderBy("label", "place").collect()
+    return [(r.text, r.label) for r in rows]

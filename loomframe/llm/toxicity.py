@@ -29,6 +29,8 @@ IDENTITY_TERMS = (
     ("mujeres", "hombres"),
     ("musulmanes", "cristianos", "judíos"),
 )
+# What a sentence says in place of any group, by the language of the terms above.
+NEUTRAL_TERMS = ("people", "people", "people", "people", "people", "people", "gens", "gens", "leute", "leute", "personas", "personas")
 
 #: 0 for letters, digits and bytes of longer characters, which make words; 1 for the rest.
 _PLAIN = bytes(int(not (0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)) for b in range(256))
@@ -36,15 +38,20 @@ _PLAIN = bytes(int(not (0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)) fo
 
 @dataclass(frozen=True)
 class ToxicitySettings:
-    """Bounds of the sample, the least documents of a feature, and the weights of the penalties."""
+    """Bounds of the sample, the least documents of a feature, and the weights of the penalties.
+
+    The counterfactual penalty learns from ``sentences`` sentences at most, half of them of each class, and at most
+    ``sentences_per_text`` of a text, evenly spaced over the whole of it.
+    """
 
     rows_per_class: int = 1500
     max_bytes: int = 8192
     least_documents: int = 6
     sparsity: float = 5e-4
-    fairness: float = 1.0
-    sentences: int = 300
-    rounds: int = 300
+    fairness: float = 20.0
+    sentences: int = 600
+    sentences_per_text: int = 3
+    rounds: int = 400
     prefixes: tuple[int, ...] = (4, 5)
 
 
@@ -79,68 +86,100 @@ class SparseLogit:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -30, 30))))
 
 
-def swapped_sentences(rows: list[tuple[str, int]], limit: int, groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> list[tuple[str, str]]:
-    """Pairs of a labelled sentence with one identity term and with another of its kind.
+def labelled_sentences(rows: list[tuple[str, int]], settings: ToxicitySettings) -> list[str]:
+    """Sentences of three words or more from texts of either class in turn, at most half of the limit from each."""
+    each: dict[int, list[str]] = {0: [], 1: []}
+    for text, label in rows:
+        if len(each[label]) >= settings.sentences // 2:
+            continue
+        found = [x for x in re.split(r"[.!?\n]+", text) if len(x.split()) >= 3]
+        k = min(len(found), settings.sentences_per_text)
+        each[label] += [found[i * len(found) // k] for i in range(k)]
+    each = {c: v[: settings.sentences // 2] for c, v in each.items()}
+    return [x for i in range(max(map(len, each.values()))) for x in (each[0][i : i + 1] + each[1][i : i + 1])]
+
+
+def swapped_sentences(sentences: list[str], groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS, neutral: tuple[str, ...] = NEUTRAL_TERMS) -> list[tuple[str, str]]:
+    """Pairs of a labelled sentence with one identity term and with another of its kind, and with its neutral word.
 
     A sentence that names a group is taken as it is; others lend their middle word's place. Terms take turns, so every
-    term is swapped; at most ``limit`` pairs.
+    term is swapped.
     """
     pairs: list[tuple[str, str]] = []
-    kind_of = {t: g for g in groups for t in g}
-    turn = [(g, i) for g in groups for i in range(len(g))]
-    for text, _ in rows:
-        for sentence in re.split(r"[.!?\n]+", text)[:3]:
-            if len(pairs) >= limit:
-                return pairs
-            words = sentence.lower().split()
-            if len(words) < 3:
-                continue
-            at = next((i for i, w in enumerate(words) if w in kind_of), None)
-            if at is None:
-                (group, i), at = turn[len(pairs) % len(turn)], len(words) // 2
-                words[at] = group[i]
-            group = kind_of[words[at]]
-            other = group[(group.index(words[at]) + 1) % len(group)]
-            pairs.append((" ".join(words), " ".join([*words[:at], other, *words[at + 1 :]])))
+    kind_of = {t: (g, neutral[k]) for k, g in enumerate(groups) for t in g}
+    turn = [t for g in groups for t in g]
+    for n, sentence in enumerate(sentences):
+        words = sentence.lower().split()
+        at = next((i for i, w in enumerate(words) if w in kind_of), None)
+        if at is None:
+            at = len(words) // 2
+            words[at] = turn[n % len(turn)]
+        group, plain = kind_of[words[at]]
+        other = group[(group.index(words[at]) + 1) % len(group)]
+        pairs += [(" ".join(words), " ".join([*words[:at], swap, *words[at + 1 :]])) for swap in (other, plain)]
     return pairs
 
 
+def _steepness(row: np.ndarray, col: np.ndarray, weight: np.ndarray, pairs: int, penalty: list[tuple[np.ndarray, np.ndarray, float]], scale: np.ndarray, fairness: float) -> float:
+    """The largest curvature of loss and penalty, by power iteration on their bound; the last coordinate is the bias."""
+    x = np.random.default_rng(5).random(len(scale) + 1)
+    top = 1.0
+    for _ in range(40):
+        x /= np.linalg.norm(x)
+        z = 0.25 * weight * (np.bincount(row, weights=(x[:-1] * scale)[col], minlength=len(weight)) + x[-1])
+        y = np.append(np.bincount(col, weights=z[row], minlength=len(scale)) * scale, z.sum())
+        change = sum((sign * np.bincount(r, weights=(x[:-1] * scale)[c], minlength=pairs) for r, c, sign in penalty), np.zeros(pairs))
+        for r, c, sign in penalty:
+            y[:-1] += sign * np.bincount(c, weights=change[r], minlength=len(scale)) * scale * fairness / pairs
+        top = float(np.linalg.norm(y))
+        x = y if top else np.ones_like(x)
+    return top
+
+
 def fit_toxicity(rows: list[tuple[str, int]], settings: ToxicitySettings = ToxicitySettings()) -> SparseLogit:
-    """Accelerated proximal gradient on: log loss, classes alike + L1 + fairness / 2 * mean squared score change of swaps."""
+    """Accelerated proximal gradient on: log loss, classes alike + L1 + fairness / 2 * mean squared score change of swaps.
+
+    The step is the inverse of the steepest curvature of loss and penalty together, so no weight of the penalty diverges.
+    """
     s, y = settings, np.array([c for _, c in rows], np.float64)
     if len(set(y)) < 2:
         return SparseLogit(np.empty(0, np.uint64), np.empty(0), 2.0 if len(y) and y[0] else -2.0, s.prefixes)
     held = [features(t, s.prefixes) for t, _ in rows]
-    pairs = [(features(a, s.prefixes), features(b, s.prefixes)) for a, b in swapped_sentences(rows, s.sentences)]
+    pairs = [(features(a, s.prefixes), features(b, s.prefixes)) for a, b in swapped_sentences(labelled_sentences(rows, s))]
     words, count = np.unique(np.concatenate(held), return_counts=True)
-    terms = np.concatenate([features(t, s.prefixes) for g in IDENTITY_TERMS for t in g])
+    terms = np.concatenate([features(t, s.prefixes) for g in (*IDENTITY_TERMS, NEUTRAL_TERMS) for t in g])
     words = np.union1d(words[count >= s.least_documents], terms)
 
     def matrix(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        x = np.concatenate(sets)
+        x = np.concatenate([np.empty(0, np.uint64), *sets])
         at = np.minimum(np.searchsorted(words, x), len(words) - 1)
         known = words[at] == x
         return row[known], at[known]
 
     row, col = matrix(held)
-    (row_a, col_a), (row_b, col_b) = matrix([a for a, _ in pairs]), matrix([b for _, b in pairs])
+    m, every = max(1, len(pairs)), len(words)
+    swaps = [(*matrix([p[k] for p in pairs]), sign) for k, sign in ((0, 1.0), (1, -1.0))] if pairs else []
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-    w, bias = np.zeros(len(words)), 0.0
+    w, bias = np.zeros(every), 0.0
     look, look_bias, t = w.copy(), 0.0, 1.0
-    # features that hold in nearly every text make the loss steep: scale each by its spread
-    share = np.bincount(col, weights=weight[row], minlength=len(words))
-    scale = 1.0 / np.sqrt(np.maximum(share * (1 - share), 1e-3))
+    # features that hold in about half of the texts, and those that swaps change, make the sum steep: scale each by that
+    share = np.bincount(col, weights=weight[row], minlength=every)
+    changed = np.zeros(every)
+    if pairs:
+        a, b = (np.unique(r * np.int64(every) + c) for r, c, _ in swaps)
+        changed = np.bincount(np.setxor1d(a, b) % every, minlength=every) * s.fairness / m
+    scale = 1.0 / np.sqrt(np.maximum(share * (1 - share), 1e-3) + 4 * changed)
     scale /= scale.max()
-    rate = 0.5
+    # power iteration comes from below: leave it a tenth
+    rate = 1 / (1.1 * max(_steepness(row, col, weight, m, swaps, scale, s.fairness), 1e-6))
     for _ in range(s.rounds):
         z = np.bincount(row, weights=(look * scale)[col], minlength=len(y)) + look_bias
         d = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-        g = np.bincount(col, weights=d[row], minlength=len(words)).astype(np.float64)
-        if pairs:
-            change = np.bincount(row_a, weights=(look * scale)[col_a], minlength=len(pairs)) - np.bincount(row_b, weights=(look * scale)[col_b], minlength=len(pairs))
-            change *= s.fairness / len(pairs)
-            g += np.bincount(col_a, weights=change[row_a], minlength=len(words)) - np.bincount(col_b, weights=change[row_b], minlength=len(words))
+        g = np.bincount(col, weights=d[row], minlength=every).astype(np.float64)
+        change = sum((sign * np.bincount(r, weights=(look * scale)[c], minlength=m) for r, c, sign in swaps), np.zeros(m)) * s.fairness / m
+        for r, c, sign in swaps:
+            g += sign * np.bincount(c, weights=change[r], minlength=every)
         step = look - rate * g * scale
         new = np.sign(step) * np.maximum(np.abs(step) - rate * s.sparsity, 0)
         new_bias = look_bias - rate * d.sum()
