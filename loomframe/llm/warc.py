@@ -26,6 +26,7 @@ SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES = 300, 1 << 15, 1 << 15
 #: An archive is closed when it has this many bytes.
 ARCHIVE_BYTES = 1 << 26
 READ_BYTES = 1 << 18
+READ_TASKS = 20_000
 RECORD_SCHEMA = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 
 
@@ -123,12 +124,12 @@ def decode_record(data: bytes, where: str) -> dict:
 
 
 class _Archives:
-    """The archives of one task, each begun under a name of its own attempt and renamed when complete."""
+    """The archives of one attempt of a task. Names hold the attempt, so another attempt never replaces what a manifest lists."""
 
-    def __init__(self, folder: str, dictionary: bytes):
+    def __init__(self, folder: str, dictionary: bytes, archive_bytes: int = ARCHIVE_BYTES):
         self.fs, self.folder = pyarrow.fs.FileSystem.from_uri(folder)
         self.fs.create_dir(self.folder, recursive=True)
-        self.uri, self.dictionary = folder, dictionary
+        self.uri, self.dictionary, self.archive_bytes = folder, dictionary, archive_bytes
         kept = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         self.packer = zstandard.ZstdCompressor(level=3, dict_data=kept, write_checksum=True, write_content_size=True)
         task = TaskContext.get()
@@ -137,14 +138,14 @@ class _Archives:
 
     def add(self, record: bytes) -> tuple[str, int, int] | None:
         if self.out is None:
-            self.name = f"part-{self.part:06d}-{self.n:04d}.warc.zst"
-            self.out = self.fs.open_output_stream(f"{self.folder}/.{self.name}.{self.attempt}")
+            self.name = f"part-{self.part:06d}-{self.attempt}-{self.n:04d}.warc.zst"
+            self.out = self.fs.open_output_stream(f"{self.folder}/.{self.name}", compression=None)
             self.size = self.records = 0
             if self.dictionary:
                 self._put(struct.pack("<II", DICTIONARY_MAGIC, len(self.dictionary)) + self.dictionary)
         self._put(self.packer.compress(record))
         self.records += 1
-        return self.close() if self.size >= ARCHIVE_BYTES else None
+        return self.close() if self.size >= self.archive_bytes else None
 
     def _put(self, data: bytes) -> None:
         self.out.write(data)
@@ -154,18 +155,18 @@ class _Archives:
         if self.out is None:
             return None
         self.out.close()
-        self.fs.move(f"{self.folder}/.{self.name}.{self.attempt}", f"{self.folder}/{self.name}")
+        self.fs.move(f"{self.folder}/.{self.name}", f"{self.folder}/{self.name}")
         self.out, self.n = None, self.n + 1
         return f"{self.uri}/{self.name}", self.records, self.size
 
 
-def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write one record per page under ``folder`` and return (path, records, bytes) of the archives.
 
     Of pages with equal payloads of ``least_bytes`` bytes or more the one with the largest id is a response, and the
     others revisit it; rows that repeat that id are responses too. Null html is an empty payload. Pages without an id are
     responses if no page with an id has their payload. An empty table writes no archive. A lost task writes its archives
-    again under the same names.
+    again under names of its own; the manifest, written when a task commits, names those that count.
     """
     dictionary = train_dictionary(pages, id_col, html_col)
     html = F.coalesce(F.col(html_col), F.lit(""))
@@ -176,7 +177,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("kept")), F.col("kept"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        archives, done = _Archives(folder, dictionary), []
+        archives, done = _Archives(folder, dictionary, archive_bytes), []
         for batch in batches:
             for page_id, url, text, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 done.append(archives.add(encode_record(page_id, url, text.encode("utf-8", "surrogatepass"), refers_to, date)))
@@ -217,7 +218,8 @@ def read_frames(stream, where: str) -> Iterator[tuple[int, bytes]]:
 def read_archives(manifest: DataFrame) -> DataFrame:
     """Records of the archives in column ``path``: page_id, url, record_type, payload_digest, payload_bytes, refers_to, payload.
 
-    A revisit's payload is null; its digest and size are those of the page it stands for. Each task streams its archives.
+    A revisit's payload is null; its digest and size are those of the page it stands for. There are as many tasks as
+    archives, up to READ_TASKS, and each streams its archives. Damaged archives raise a ValueError that names the place.
     """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
@@ -236,7 +238,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema=schema)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, RECORD_SCHEMA)
+    # a number of its own, or AQE would put all archives of the tiny manifest into one task
+    return manifest.select("path").repartition(max(1, min(READ_TASKS, manifest.count())), "path").mapInArrow(run, RECORD_SCHEMA)
 
 
 def roundtrip(spark: SparkSession, pages: DataFrame) -> DataFrame:
