@@ -8,7 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomframe.llm._common import fold
@@ -124,18 +124,13 @@ def train_languages(documents: DataFrame, *, folds: int = 4, held: int = 2, sett
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     counts = {r[0]: r[1] for r in texts.groupBy("lang").count().collect()}
     each = max(1, settings.rows // max(1, len(counts)))
-    rows = []
-    for lang, n in sorted(counts.items()):
-        # the hash range holds about twice the rows wanted, so little is sorted
-        limit = int(min(1.0, 2.0 * each / n + 0.001) * (1 << 30))
-        part = texts.where((F.col("lang") == lang) & (share < limit)).select("id", "text").orderBy(share, "id").limit(each)
-        rows.append(part.select("text", F.lit(lang).alias("lang")))
-    if not rows:
+    if not counts:
         return LanguageTree(settings)
-    drawn = rows[0]
-    for part in rows[1:]:
-        drawn = drawn.union(part)
-    return LanguageTree(settings).fit([(r.text, r.lang) for r in drawn.collect()])
+    # the hash range holds about twice the rows wanted of a language, so one scan finds them and little is sorted
+    limit = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(1.0, 2.0 * each / n + 0.001) * (1 << 30)))])
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(share, "id"))
+    drawn = texts.where(share < limit[F.col("lang")]).withColumn("place", place).where(F.col("place") <= each).orderBy("lang", "place")
+    return LanguageTree(settings).fit([(r.text, r.lang) for r in drawn.select("text", "lang").collect()])
 
 
 def identify_languages(documents: DataFrame, *, folds: int = 4, held: int = 2, settings: LanguageSettings = LanguageSettings()) -> DataFrame:
