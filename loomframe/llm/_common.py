@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,11 +23,17 @@ _OWN_DIRS: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
+def _one_process(spark: SparkSession) -> bool:
+    return bool(re.match(r"local($|\[)", spark.conf.get("spark.master", "")))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder all executors see: ``spark.checkpoint.dir``, or a temporary one where it is unset and Spark is one process."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not _one_process(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIRS:
         _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="loomframe-")
@@ -43,7 +50,7 @@ def new_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: lineage ends there, a lost executor costs nothing.
 
-    The shuffle files behind the table are let go.
+    On a cluster the shuffle files behind the table are let go.
 
     The result has the same rows and columns; an empty input gives an empty table.
     """
@@ -52,8 +59,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     with _small_batches(spark):
         df.write.parquet(path)
     # shuffle files go when the driver's JVM collects the finished plan; unasked, it may hold them for half an hour
-    spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    if not _one_process(spark):
+        spark._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._loomframe_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``materialize`` wrote and nothing reads any more."""
+    for table in tables:
+        _remove(table.sparkSession, table._loomframe_path)
 
 
 @contextmanager
@@ -70,12 +86,16 @@ def _small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 @atexit.register
 def _remove_written() -> None:
     for spark, path in _WRITTEN:
         try:
-            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+            _remove(spark, path)
         except Exception:  # the JVM may be gone already; the folder is the cluster's scratch space
             return
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomframe.llm._common import materialize
+from loomframe.llm._common import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        now = materialize(small, "edges")
+        last, now = now, materialize(small, "edges")
+        discard(last)
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before:
             break

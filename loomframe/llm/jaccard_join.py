@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomframe.llm._common import materialize, mix, shingle_set
+from loomframe.llm._common import discard, materialize, mix, shingle_set
 from loomframe.llm.components import connected_components
 
 #: Coordinates of a tree's points, and the most of any point.
@@ -88,7 +88,7 @@ def _sets(documents: DataFrame, id_col: str, text_col: str, words: int) -> DataF
                 [pa.array(np.zeros(len(n), np.int32)), batch.column(0), pa.array(n), pa.array(sig, pa.binary()), pa.array(np.zeros(len(n), np.int64))],
                 names=["kind", "doc", "n", "sig", "amount"],
             )
-        if held:
+        if size:
             yield frequent(held)
 
     rows = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
@@ -166,6 +166,7 @@ def _points(documents: DataFrame, id_col: str, text_col: str, words: int, percen
 def _exact_sets(texts: DataFrame, reps: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """(node, members) of the sets in ``pairs``, each from the text of one document that has it."""
     both = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # at most two rows a pair
     wanted = materialize(both.join(reps.select("node", F.col("rep").alias("doc"), "sig"), "node"), "wanted")
     if wanted.count() <= BROADCAST_ROWS:
         wanted = F.broadcast(wanted)
@@ -484,6 +485,7 @@ def similarity_classes(documents: DataFrame, *, id_col: str = "doc_id", text_col
     pairs = materialize(_promising(_block_pairs(first.join(vectors, "node"), percent, across=False), fine, percent), "pairs")
     links = materialize(_verified(pairs, _exact_sets(texts, reps, pairs, words), percent).union(own), "links")
     merged = connected_components(links)
+    discard(pairs, links)
 
     in_class = materialize(blocks.join(merged, "node", "left").select("key", "node", "n", "pos", F.coalesce("component", "node").alias("comp")), "in-class")
     shares = in_class.groupBy("key", "comp").agg(F.count("*").alias("k"))
@@ -499,6 +501,7 @@ def similarity_classes(documents: DataFrame, *, id_col: str = "doc_id", text_col
     rest = _verified(pairs, _exact_sets(texts, reps, pairs, words), percent)
     links = materialize(rest.union(merged.where("node <> component").select("component", "node")), "links")
     classes = connected_components(links)
+    discard(points, blocks, in_class, open_rows, pairs, links)
 
     in_classes = reps.join(classes, "node", "left").select("sig", "rep", F.coalesce("component", "node").alias("class"))
     smallest = in_classes.groupBy("class").agg(F.min("rep").alias("least"))
@@ -531,9 +534,14 @@ def keep_one_per_class(documents: DataFrame, *, id_col: str = "doc_id", text_col
     known = documents.where(F.col(id_col).isNotNull())
     nodes = known.select(F.col(id_col).alias("id"), node.alias("node"), F.col(text_col).alias("text"))
     classes = similarity_classes(nodes, id_col="node", text_col="text", words=words, percent=percent)
-    owners = nodes.select("id", "node").distinct()
-    least = owners.join(classes.select("node", "component_id").distinct(), "node").groupBy("component_id").agg(F.min(F.struct("id", "node")).alias("least"))
-    chosen = known.join(least.select(F.col("least.node").alias("__lf_kept")), node == F.col("__lf_kept"), "left_semi")
+    classes = classes.groupBy("node").agg(F.min("component_id").alias("class"), F.count("*").alias("rows"))
+    owners = materialize(nodes.groupBy("node").agg(F.min("id").alias("id")).join(classes, "node"), "owners")
+    least = owners.groupBy("class").agg(F.min(F.struct("id", "node")).alias("least"))
+    judged = owners.join(least, "class").withColumn("stays", F.col("node") == F.col("least.node"))
+    # most documents stay as they are: only what goes, or stands there more than once, is looked up
+    odd = materialize(judged.where(~F.col("stays") | (F.col("rows") > 1)).select(F.col("node").alias("__lf_node"), "stays"), "odd")
+    sized = F.broadcast if odd.count() <= BROADCAST_ROWS else lambda df: df
+    rest = documents.join(sized(odd.select("__lf_node")), F.col(id_col).isNotNull() & (node == F.col("__lf_node")), "left_anti")
+    twice = known.join(sized(odd.where("stays").select("__lf_node")), node == F.col("__lf_node"), "left_semi")
     rank = F.row_number().over(Window.partitionBy(node).orderBy(F.lit(0)))
-    one = chosen.withColumn("__lf_rank", rank).where("__lf_rank = 1").drop("__lf_rank")
-    return one.union(documents.where(F.col(id_col).isNull()))
+    return rest.union(twice.withColumn("__lf_rank", rank).where("__lf_rank = 1").drop("__lf_rank"))

@@ -85,7 +85,7 @@ def test_log_ratio_by_brute_force(spark):
 
     def grams(t):
         h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words(t)]
-        return [x % 64 for x in h] + [signed(xxhash.xxh64_intdigest(b.to_bytes(8, "little"), a)) % 64 for a, b in zip(h, h[1:])]
+        return [x % 64 for x in h] + [signed(xxhash.xxh64_intdigest(b.to_bytes(8, "little"), xxhash.xxh64_intdigest(a.to_bytes(8, "little"), 42))) % 64 for a, b in zip(h, h[1:])]
 
     out = {r.doc_id: r for r in judge_quality(docs(spark, rows), buckets=64).collect()}
     raw, target = [0.5] * 64, [0.5] * 64
