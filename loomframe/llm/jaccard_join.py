@@ -48,7 +48,7 @@ WITNESSES = 8
 COUNT_BLOCK, COUNT_LEAST = 1_000_000, 4
 #: A shingle in one document of this many counts as frequent, so frequent ones number at most that times a document's mean shingles.
 FREQUENT_SHARE = 1000
-#: Ids and signatures (32 bytes each) up to which the texts to verify are chosen by a broadcast; beyond, by a shuffle.
+#: Rows (40 bytes at most) up to which a table is broadcast; beyond, its join shuffles.
 BROADCAST_ROWS = 500_000
 
 
@@ -163,13 +163,16 @@ def _points(documents: DataFrame, id_col: str, text_col: str, words: int, percen
     return rows.mapInArrow(run, "doc long, n long, sig binary, point binary, fine binary, cool int, short int, keys array<long>")
 
 
+def _sized(table: DataFrame) -> DataFrame:
+    """A written table, marked for a broadcast if it is small enough for one."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _exact_sets(texts: DataFrame, reps: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """(node, members) of the sets in ``pairs``, each from the text of one document that has it."""
     both = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # at most two rows a pair
-    wanted = materialize(both.join(reps.select("node", F.col("rep").alias("doc"), "sig"), "node"), "wanted")
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted = _sized(materialize(both.join(reps.select("node", F.col("rep").alias("doc"), "sig"), "node"), "wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -475,9 +478,10 @@ def similarity_classes(documents: DataFrame, *, id_col: str = "doc_id", text_col
     texts = documents.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
 
     # links between the sets that rows of one id have, whatever the sets
-    owned = known.join(reps.select("sig", "node"), "sig").select("doc", "node").distinct()
-    several = owned.groupBy("doc").agg(F.min("node").alias("a"), F.count("*").alias("k")).where("k > 1")
-    own = owned.join(several, "doc").where("node <> a").select("a", F.col("node").alias("b"))
+    several = known.groupBy("doc").agg(F.min("sig").alias("x"), F.max("sig").alias("y")).where("x <> y").select("doc")
+    owned = known.join(several, "doc", "left_semi").select("doc", "sig").distinct().join(reps.select("sig", "node"), "sig")
+    first = owned.groupBy("doc").agg(F.min("node").alias("a"))
+    own = owned.join(first, "doc").where("node <> a").select("a", F.col("node").alias("b"))
 
     none = F.array().cast("array<long>").alias("first")
     parts = F.ceil(F.col("held") / TREE_POINTS).cast("long")
@@ -503,9 +507,11 @@ def similarity_classes(documents: DataFrame, *, id_col: str = "doc_id", text_col
     classes = connected_components(links)
     discard(points, blocks, in_class, open_rows, pairs, links)
 
-    in_classes = reps.join(classes, "node", "left").select("sig", "rep", F.coalesce("component", "node").alias("class"))
-    smallest = in_classes.groupBy("class").agg(F.min("rep").alias("least"))
-    to_class = in_classes.join(smallest, "class").select("sig", "least")
+    # most sets are in no class but their own: only classes of several are looked up
+    smallest = classes.join(reps.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("least"))
+    smallest = materialize(smallest, "smallest")
+    members = classes.join(_sized(smallest), "component").select("node", "least")
+    to_class = reps.join(members, "node", "left").select("sig", F.coalesce("least", "rep").alias("least"))
     joined = rows.join(to_class, "sig", "left")
     component = F.when(F.col("doc").isNotNull(), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")))
     return joined.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
@@ -536,8 +542,8 @@ def keep_one_per_class(documents: DataFrame, *, id_col: str = "doc_id", text_col
     classes = similarity_classes(nodes, id_col="node", text_col="text", words=words, percent=percent)
     classes = classes.groupBy("node").agg(F.min("component_id").alias("class"), F.count("*").alias("rows"))
     owners = materialize(nodes.groupBy("node").agg(F.min("id").alias("id")).join(classes, "node"), "owners")
-    least = owners.groupBy("class").agg(F.min(F.struct("id", "node")).alias("least"))
-    judged = owners.join(least, "class").withColumn("stays", F.col("node") == F.col("least.node"))
+    least = owners.groupBy("class").agg(F.min(F.struct("id", "node"))["node"].alias("least"), F.count("*").alias("k")).where("k > 1")
+    judged = owners.join(_sized(materialize(least, "least")), "class", "left").withColumn("stays", F.coalesce(F.col("node") == F.col("least"), F.lit(True)))
     # most documents stay as they are: only what goes, or stands there more than once, is looked up
     odd = materialize(judged.where(~F.col("stays") | (F.col("rows") > 1)).select(F.col("node").alias("__lf_node"), "stays"), "odd")
     sized = F.broadcast if odd.count() <= BROADCAST_ROWS else lambda df: df
