@@ -1,4 +1,8 @@
-"""A corpus pipeline over ``documents``: rules, near copies, decontamination, mixing, shards."""
+"""A corpus pipeline over ``documents``: rules, near copies, decontamination, mixing, shards.
+
+Stages take any table with the columns of ``documents``; further columns pass through all but the last stage, whatever
+their names. Empty tables give empty tables. Rows that repeat an id are judged each by their own text.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +17,30 @@ from loomframe.llm.sharding import assign_shards
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep; null, empty and wordless texts go. A tie with the threshold stays."""
     return keep_good(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of five-word shingle similarity 0.8 or more."""
+    """One document of each class of five-word shingle similarity 0.8 or more: its smallest id, of equal rows one.
+
+    Texts without words, and rows without an id, are in no class and stay.
+    """
     return keep_one_per_class(docs, words=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, and an empty benchmark drops nothing."""
     return drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; null is a source like others, and ties in size go by id."""
     return mix_sources(docs, seed=7)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and place of each row."""
+    """The shard and place of each row; null ids come first, null texts have no bytes, equal rows are interchangeable."""
     return assign_shards(docs, 40)
 
 

@@ -77,7 +77,12 @@ def plan_mix(documents: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, percen
 
 
 def mix_sources(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The documents, with all their columns, each as often as ``plan_mix`` takes it."""
+    """The documents, with all their columns, each as often as ``plan_mix`` takes it.
+
+    Equal rows share the copies planned for all of them. Documents without words are taken as often as their place among
+    the documents of their source says; a source without words gives nothing. Null sources and ids take part like others.
+    Empty input gives no rows.
+    """
     plan = plan_mix(documents, id_col=id_col, text_col=text_col, source_col=source_col, **options)
     # equal rows have one key: they share the copies that the plan has for all of them
     plan = plan.groupBy(F.col("key").alias("__lf_key")).agg(F.sum("copies").alias("__lf_all"), F.count("*").alias("__lf_of")).where("__lf_all > 0")

@@ -105,7 +105,11 @@ def judge_quality(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 
 def keep_good(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, with all their columns, that ``judge_quality`` keeps."""
+    """The documents, with all their columns, that ``judge_quality`` keeps.
+
+    Null, empty and wordless texts fail the base rules and go. Rows that repeat an id, or have none, are judged each by its
+    text. Ties with the threshold stay. Empty input gives no rows; other columns pass through, whatever their names.
+    """
     whole = F.struct(*[documents[c] for c in documents.columns])
     rows = _scored(documents, whole, id_col, text_col, buckets)
     kept = rows.select("doc", (~F.col("base_failed") & (F.col("score") >= threshold)).alias("kept"))

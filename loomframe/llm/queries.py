@@ -1,4 +1,8 @@
-"""The registered queries of the training-data operators, and SQL for those that it can express."""
+"""The registered queries of the training-data operators, and SQL for those that it can express.
+
+Each query reads its whole table and returns its operator's rows; what becomes of nulls, empty and very long texts, ties,
+repeated rows, empty tables and other columns is said in the operator's own docstring.
+"""
 
 from __future__ import annotations
 

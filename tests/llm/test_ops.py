@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomframe.llm import queries
+from loomframe.llm import jaccard_join, queries
 from loomframe.llm.decontamination import drop_contaminated, find_contaminated
 from loomframe.llm.jaccard_join import GROUPS, keep_one_per_class, needed_overlap, similarity_classes, tree_join
 from loomframe.llm.language_id import identify_languages
@@ -180,8 +180,26 @@ def test_links_inside_large_blocks_of_frequent_shingles(spark, many):
     assert len(links) >= many // 100 and got == components(range(many), links)
 
 
-@pytest.mark.parametrize(("words", "percent"), [(1, 60), (3, 90), (5, 80)])
-def test_families_of_near_copies_by_brute_force(spark, words, percent):
+def test_tiles_let_every_two_components_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "TREE_POINTS", 8)
+    rng = np.random.default_rng(2)
+    comps = {0: [1] * 50 + [int(c) for c in rng.integers(2, 30, 60)], 1: [1] * 5 + [2], 2: [1] * 70 + [2], 3: list(range(40))}
+    rows = []
+    for key, held in comps.items():
+        most = max(set(held), key=held.count)
+        rows += [(key, 1000 * key + i, c, len(held), held.count(most), c == most) for i, c in enumerate(held)]
+    table = spark.createDataFrame(rows, "key long, node long, comp int, total long, most long, main boolean").select("key", "node", "comp", F.explode(jaccard_join._tiles()).alias("t")).collect()
+    tiles = {}
+    for r in table:
+        tiles.setdefault((r.key, r.t.tile), []).append(r)
+    met = [(a.node, b.node) for held in tiles.values() for a in held for b in held if a.node < b.node and a.comp != b.comp and (a.t.side != b.t.side or a.t.side == 2)]
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] != b[2]}
+    assert len(met) == len(set(met)) and set(met) == want
+
+
+@pytest.mark.parametrize(("words", "percent", "points"), [(1, 60, 16), (3, 90, 2048), (5, 80, 16)])
+def test_families_of_near_copies_by_brute_force(spark, monkeypatch, words, percent, points):
+    monkeypatch.setattr(jaccard_join, "TREE_POINTS", points)
     rng = np.random.default_rng(words)
     rows = []
     for i in range(600):
