@@ -15,7 +15,7 @@ BUCKETS = 1 << 16
 SMOOTHING = 0.5
 #: A document is kept if its mean log ratio per n-gram is this or more.
 THRESHOLD = -0.25
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 
 
@@ -25,24 +25,19 @@ def _base(documents: DataFrame, doc: Column, text_col: str) -> DataFrame:
     Arrays that a later expression reads element by element are columns of their own, so that they are computed once.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    bare = F.translate(text, " \t\n\x0b\x0c\r", "")
     rows = documents.select(
         doc.alias("doc"),
-        F.transform(F.filter(F.split(text, SPACE), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("hashes"),
+        F.filter(F.split(text, SPACE), lambda w: w != "").alias("words"),
         F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
-        F.length(bare).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.size(F.split(text, SYMBOLS)) - 1).cast("long").alias("n_symbols"),
     )
+    rows = rows.select("*", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"), F.length(F.array_join("words", "")).cast("long").alias("word_chars")).drop("words")
     h, n, none = F.col("hashes"), F.size("hashes"), F.array().cast("array<bigint>")
-    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])))
-    pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1))))
-    rows = rows.select(
-        "*",
-        n.cast("long").alias("n_words"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(windows, none).alias("windows"),
-        F.concat(h, F.coalesce(pairs, none)).alias("grams"),
-    ).drop("lines", "hashes")
+    pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.xxhash64(F.get(h, i), F.get(h, i + 1)))).otherwise(none)
+    rows = rows.select("*", n.cast("long").alias("n_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), pairs.alias("pairs")).drop("lines")
+    # five words are two pairs and a word
+    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(F.get("pairs", i), F.get("pairs", i + 2), F.get(h, i + 4)))).otherwise(none)
+    rows = rows.select("*", windows.alias("windows"), F.concat(h, "pairs").alias("grams")).drop("hashes", "pairs")
     rows = rows.withColumn("placed", _placed(F.col("windows"))).withColumn("n_repeat_words", _repeated_words(F.col("placed")))
     return rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).drop("windows", "placed")
 
